@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, table
+from . import bpe, transport_stream
+from .common import table
 from .minhash import near_duplicates
 
 
+def vocabulary() -> tuple[str, str]:
+    """Path of the ranks and the splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.read_media(transport_stream.store_documents(table(spark, sf_dir, "documents"))).drop("access_points")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
