@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, transport_stream
+from . import bpe, quality, transport_stream, warc
 from .common import table
 from .minhash import near_duplicates
+from .multi_index import near_vectors
 
 
 def vocabulary() -> tuple[str, str]:
@@ -30,6 +32,20 @@ def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.read_media(transport_stream.store_documents(table(spark, sf_dir, "documents"))).drop("access_points")
 
 
+def op5_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs.select("doc_id", "text"), model, 0.3).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
