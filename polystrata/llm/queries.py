@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, transport_stream, warc
+from . import bpe, chat, mixing, quality, secrets, substrings, transport_stream, warc
 from .common import table
 from .minhash import near_duplicates
 from .multi_index import near_vectors
@@ -28,6 +28,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+
+
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.read_media(transport_stream.store_documents(table(spark, sf_dir, "documents"))).drop("access_points")
 
@@ -36,6 +40,18 @@ def op5_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
+def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
 
@@ -51,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_perspective_chat": chat.DIGEST_SQL}
