@@ -47,7 +47,7 @@ def drop_repeats(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS
     n_removed are replaced. An empty table gives no rows.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    all_runs = runs(docs, run, least_chars)
+    all_runs = written(runs(docs, run, least_chars), "runs")
     again = all_runs.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     seen = written(all_runs.join(again, "h1", "left_semi"), "repeats")
     first = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "th")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
