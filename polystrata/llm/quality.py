@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,10 +89,14 @@ def train(texts: list, labels: list[int], width: int = 8, epochs: int = 6, rate:
     size = (1 << WORD_BITS) + (1 << CHAR_BITS)
     table = r.uniform(-1 / width, 1 / width, (size, width)).astype(np.float32)
     out, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
-    rows = []
+    # flat arrays, which go back to the system as a whole
+    flat, shares, ends = array("i"), array("f"), [0]
     for t in texts:
         f, c = np.unique(np.concatenate(list(features(t))), return_counts=True)
-        rows.append((f, (c / max(1, c.sum())).astype(np.float32)))
+        flat.frombytes(f.astype(np.int32).tobytes())
+        shares.frombytes((c / max(1, c.sum())).astype(np.float32).tobytes())
+        ends.append(len(flat))
+    all_f, all_c = np.frombuffer(flat, np.int32), np.frombuffer(shares, np.float32)
     y = np.array(labels, int)
     share = np.bincount(y, minlength=2) / max(1, len(y))
     if len(y) == 0 or share.min() == 0:
@@ -101,7 +106,7 @@ def train(texts: list, labels: list[int], width: int = 8, epochs: int = 6, rate:
     step, steps = 0, epochs * len(y)
     for _ in range(epochs):
         for i in r.permutation(len(y)):
-            f, c = rows[i]
+            f, c = all_f[ends[i] : ends[i + 1]], all_c[ends[i] : ends[i + 1]]
             lr = rate * (1 - step / steps)
             step += 1
             if not len(f):
