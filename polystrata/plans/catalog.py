@@ -223,3 +223,56 @@ def rank_fusion(t):
 def graph_depth(t):
     o = t("orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("p"), F.col("o_orderkey") % 97).alias("dst")).distinct()
     return R.reach(o.unionByName(o.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), ["c1"], 3)
+
+
+@_query("""SELECT a.c_custkey AS one, b.c_custkey AS other FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey < b.c_custkey AND a.c_acctbal > 9000 AND b.c_acctbal > 9000""")
+def self_join(t):
+    c = t("customer").where("c_acctbal > 9000")
+    pairs = c.alias("a").join(c.alias("b"), (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")))
+    return pairs.where("a.c_custkey < b.c_custkey").select(F.col("a.c_custkey").alias("one"), F.col("b.c_custkey").alias("other"))
+
+
+@_query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 400000) RIGHT JOIN customer ON o_custkey = c_custkey""")
+def right_join(t):
+    return t("orders").where("o_totalprice > 400000").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
+
+
+@_query("""SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, CAST(floor(epoch(ts)) AS BIGINT) AS unix FROM events""")
+def time_functions(t):
+    n = lambda c: c.cast("long")
+    return t("events").select("event_id", n(F.year("ts")).alias("y"), n(F.month("ts")).alias("m"), n(F.dayofmonth("ts")).alias("d"), n(F.hour("ts")).alias("h"), n(F.minute("ts")).alias("mi"), n(F.second("ts")).alias("s"), F.unix_timestamp("ts").alias("unix"))
+
+
+@_query("""SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN sqrt(c_acctbal) END, 6) AS root, round(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END, 6) AS log, abs(c_acctbal) AS abs, floor(c_acctbal)::BIGINT AS low, ceil(c_acctbal)::BIGINT AS high,
+ trunc(c_acctbal)::BIGINT AS cut, sign(c_acctbal)::BIGINT AS sign, c_custkey % 7 AS rest FROM customer""")
+def math_functions(t):
+    x = F.col("c_acctbal")
+    return t("customer").select(
+        "c_custkey", rnd(F.when(x >= 0, F.sqrt(x)), 6).alias("root"), rnd(F.when(x > 0, F.ln(x)), 6).alias("log"), F.abs(x).alias("abs"), F.floor(x).cast("long").alias("low"), F.ceil(x).cast("long").alias("high"),
+        F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long").alias("cut"), F.signum(x).cast("long").alias("sign"), (F.col("c_custkey") % 7).alias("rest"),
+    )
+
+
+@_query("""SELECT o_custkey, to_json(list_sort(list(DISTINCT o_orderstatus))) AS kinds, count(*) AS n, max(len(o_orderpriority)) AS longest, list_contains(list(o_orderstatus), 'P') AS has_p FROM orders GROUP BY 1""")
+def array_functions(t):
+    g = t("orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("l"), F.count("*").alias("n"), F.max(F.char_length("o_orderpriority")).cast("long").alias("longest"))
+    return g.select("o_custkey", F.to_json(F.sort_array(F.array_distinct("l"))).alias("kinds"), "n", "longest", F.array_contains("l", "P").alias("has_p"))
+
+
+@_query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.missing') IS NULL AS absent FROM events""")
+def document_paths(t):
+    v = F.try_parse_json("props")
+    return t("events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.try_variant_get(v, "$.missing", "string").isNull().alias("absent"))
+
+
+@_query("""SELECT vec_id FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1) AS q FROM embeddings WHERE label = 3) ORDER BY list_distance(e, q), vec_id LIMIT 5""")
+def filtered_knn(t):
+    e = t("embeddings")
+    q = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("q")).limit(1))  # one row: the query vector
+    return R.nearest(e.where("label = 3").crossJoin(q), "vec_id", R.euclidean(F.col("embedding"), F.col("q")), 5).select("vec_id")
+
+
+@_query("""SELECT o_orderkey, o_custkey <> 5 OR o_custkey IS NULL AS other, coalesce(nullif(o_orderstatus, 'O'), 'none') AS status, NOT coalesce(nullif(o_totalprice, 0) > 1000, false) AS low FROM orders""")
+def absence_rules(t):
+    price = F.nullif(F.col("o_totalprice"), F.lit(0.0))
+    return t("orders").select("o_orderkey", V.ne(F.col("o_custkey"), F.lit(5)).alias("other"), F.coalesce(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.lit("none")).alias("status"), V.negate(V.gt(price, F.lit(1000))).alias("low"))
