@@ -49,7 +49,7 @@ def op7_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), grown=True)
 
 
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
