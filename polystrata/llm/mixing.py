@@ -64,8 +64,45 @@ def schedule(sources: DataFrame) -> DataFrame:
     return slots.select("start", F.col("end").alias("until"), "base", F.col("w").alias("width"), F.col("a.source").alias("source"), F.col("a.quanta").alias("quanta"), j.alias("j"), "slot")
 
 
-def target_quanta(docs: DataFrame, source: str, weights: dict[str, float] | None, temperature: float, finest: int, block_rows: int) -> DataFrame:
-    """Blocks and whole-number weights of the sources: as given, or their share to the power `temperature`; the heaviest has `finest` quanta, none has less than one."""
+def exact_schedule(sources: DataFrame) -> DataFrame:
+    """sources (source, blocks long, weight double) -> one row per block: source, block, slot.
+
+    In the fluid mix every source gets its weight's share among the sources
+    that still have blocks: at virtual time v it has had min(weight v, blocks),
+    all together T(v) slots. Block k of a source is released at slot
+    floor(T(k / weight)) and due by ceil(T((k + 1) / weight)). Slots take the
+    released block of the earliest deadline, ties by source. As the fluid mix
+    itself keeps all these windows, this meets every deadline: no source is
+    ever a whole block off the given weights, however far the mix goes.
+
+    One task plans it, slot by slot in chunks, from two numbers a block.
+    """
+    all_ = sources.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "blocks", "weight"))).alias("all"), F.sum("blocks").alias("total")).where("total > 0")
+    fluid = "aggregate(all, 0D, (a, y) -> a + least(y.weight * {v}, cast(y.blocks as double)))"
+    windows = f"""flatten(transform(all, x -> transform(sequence(0L, x.blocks - 1), k -> named_struct(
+        'rel', cast(floor({fluid.format(v='(k / x.weight)')} + 1e-6) as int),
+        'due', cast(ceil({fluid.format(v='((k + 1) / x.weight)')} - 1e-6) as int)))))"""
+    d = all_.withColumn("win", F.expr(windows)).withColumns({"rel": F.expr("win.rel"), "due": F.expr("win.due")}).drop("win")
+    d = d.withColumn("off", F.expr("transform(all, (x, i) -> cast(aggregate(slice(all, 1, i), 0L, (a, y) -> a + y.blocks) as int))"))
+    d = d.withColumn("until", F.expr("transform(all, (x, i) -> off[i] + cast(x.blocks as int))")).withColumn("chunk", F.expr("cast(ceil(sqrt(total)) as int)"))
+    # the next block of each source is at[i]; one that is not released waits for those that are
+    due = """array_min(transform(acc.at, (n, i) -> if(n < until[i], named_struct('waits', rel[n] > t, 'due', due[n], 'i', i), null))).i"""
+    step = f"""(acc, t) -> element_at(transform(array({due}), p -> named_struct(
+        'at', transform(acc.at, (n, i) -> if(i = p, n + 1, n)),
+        'pick', concat(acc.pick, array(named_struct('i', p, 'block', acc.at[p] - off[p]))))), 1)"""
+    empty = "cast(array() as array<struct<i:int,block:int>>)"
+    chunk = f"aggregate(sequence(c * chunk, least(cast(total as int), (c + 1) * chunk) - 1), named_struct('at', outer_acc.at, 'pick', {empty}), {step})"
+    fold = f"""aggregate(
+        sequence(0, cast(ceil(total / chunk) as int) - 1),
+        named_struct('at', off, 'picks', cast(array() as array<array<struct<i:int,block:int>>>)),
+        (outer_acc, c) -> element_at(transform(array({chunk}), r -> named_struct('at', r.at, 'picks', concat(outer_acc.picks, array(r.pick)))), 1),
+        outer_acc -> flatten(outer_acc.picks))"""
+    slots = d.select("all", F.posexplode(F.expr(fold)).alias("slot", "p"))
+    return slots.select(F.col("all")[F.col("p.i")]["source"].alias("source"), F.col("p.block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"))
+
+
+def target_weights(docs: DataFrame, source: str, weights: dict[str, float] | None, temperature: float, block_rows: int) -> DataFrame:
+    """source, blocks and weight: as given, or their share to the power `temperature`."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.pow(F.col("n"), F.lit(temperature))
@@ -73,11 +110,16 @@ def target_quanta(docs: DataFrame, source: str, weights: dict[str, float] | None
         weight = F.lit(min(weights.values(), default=1.0))
         for k, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(w))).otherwise(weight)
+    return counts.select("source", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), weight.cast("double").alias("weight"))
+
+
+def target_quanta(docs: DataFrame, source: str, weights: dict[str, float] | None, temperature: float, finest: int, block_rows: int) -> DataFrame:
+    """Blocks and weights in whole numbers: the heaviest has `finest` quanta, none has less than one."""
     heaviest = F.max("weight").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("weight", weight).select("source", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), F.greatest(F.lit(1), F.round(finest * F.col("weight") / heaviest)).cast("int").alias("quanta"))
+    return target_weights(docs, source, weights, temperature, block_rows).select("source", "blocks", F.greatest(F.lit(1), F.round(finest * F.col("weight") / heaviest)).cast("int").alias("quanta"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, finest: int = 16, source: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, finest: int = 16, source: str = "source", keep: list[str] | None = None, exact: bool = False) -> DataFrame:
     """docs (doc_id, source, ...) -> all its columns (or `keep`) and block, slot, place: one row for each input row.
 
     A source's rows, in an order by hash of their first column other than the
@@ -85,7 +127,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     grows along the mix, and `place` is the row's place in its block. Read by
     (slot, place), any prefix has every source within one block of its target
     weight among the sources that still have rows. Nothing is dropped or
-    repeated: when a source ends the others go on by their weights.
+    repeated: when a source ends the others go on by their weights. `exact`
+    takes the weights as they are; else the targets are weights rounded to
+    `finest` quanta for the heaviest source, one at least for any.
 
     A null source is a source of its own. Null ids and repeated rows keep their
     rows; among equal ids any order is as good. Columns named block, slot or
@@ -93,12 +137,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """
     d = docs.drop("block", "slot", "place")
     names = [c for c in (keep or d.columns)]
+    r = ranked(d.select(*names), source, [F.col(c) for c in names if c != source][:1] or [F.col(source)])
+    r = r.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long")).withColumn("place", (F.col("_rank") % block_rows).cast("int"))
+    if exact:
+        p = exact_schedule(target_weights(d, source, weights, temperature, block_rows))
+        p = F.broadcast(p.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "slot"))  # a row per `block_rows` rows
+        return r.join(p, F.col(source).eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left").select(*names, "block", "slot", "place")
     quanta = target_quanta(docs, source, weights, temperature, finest, block_rows)
     plan = schedule(quanta)
     per = quanta.select(F.col("source").alias("_qs"), F.col("quanta").alias("_q"))
-    r = ranked(d.select(*names), source, [F.col(c) for c in names if c != source][:1] or [F.col(source)])
     r = r.join(per, F.col(source).eqNullSafe(F.col("_qs")), "left")
-    r = r.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long")).withColumn("place", (F.col("_rank") % block_rows).cast("int"))
     r = r.withColumn("_p", F.floor(F.col("block") / F.col("_q")).cast("long")).withColumn("_j", (F.col("block") % F.col("_q")).cast("int"))
     on = F.col(source).eqNullSafe(F.col("p_source")) & (F.col("_j") == F.col("p_j")) & (F.col("_p") >= F.col("p_start")) & (F.col("_p") < F.col("p_until"))
     p = plan.select(*(F.col(c).alias(f"p_{c}") for c in plan.columns))

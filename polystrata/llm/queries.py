@@ -29,7 +29,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"], exact=True)
 
 
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
