@@ -63,6 +63,11 @@ def full_join(t):
     return t("customer").where("c_custkey <= 300").join(t("supplier").where("s_suppkey % 2 = 0"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
+@_query("""SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON floor(c_acctbal) = floor(s_acctbal)""")
+def full_join_whole(t):
+    return t("customer").join(t("supplier"), F.floor("c_acctbal") == F.floor("s_acctbal"), "full").select("c_custkey", "s_suppkey")
+
+
 @_query(f"""SELECT r_name, count(*) AS n, {_SUM.format('o_totalprice')} AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def n_way_join(t):
     d = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -232,6 +237,13 @@ def self_join(t):
     return pairs.where("a.c_custkey < b.c_custkey").select(F.col("a.c_custkey").alias("one"), F.col("b.c_custkey").alias("other"))
 
 
+@_query("""SELECT a.c_custkey AS one, b.c_custkey AS other FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND floor(a.c_acctbal / 100) = floor(b.c_acctbal / 100) WHERE a.c_custkey < b.c_custkey""")
+def self_join_whole(t):
+    c = t("customer").withColumn("hundreds", F.floor(F.col("c_acctbal") / 100))
+    pairs = c.alias("a").join(c.alias("b"), (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")) & (F.col("a.hundreds") == F.col("b.hundreds")))
+    return pairs.where("a.c_custkey < b.c_custkey").select(F.col("a.c_custkey").alias("one"), F.col("b.c_custkey").alias("other"))
+
+
 @_query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 400000) RIGHT JOIN customer ON o_custkey = c_custkey""")
 def right_join(t):
     return t("orders").where("o_totalprice > 400000").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
