@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -34,13 +34,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     no edges give no rows. Minima are pre-aggregated per node and joined back,
     so that no neighbourhood is ever gathered in one row; the join's hot nodes
     are split by adaptive execution. Every round is written to the shared
-    folder. Only two counters a round come to the driver.
+    folder, and the one before is deleted. Only two counters a round come to the driver.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        e = written(_small_star(_large_star(e)), "stars")
+        last, e = e, written(_small_star(_large_star(e)), "stars")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        forget(last)
         if now == before:
             break
         before = now

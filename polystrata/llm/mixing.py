@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 #: Rows of a source that one task ranks, as a mean; hash ranges keep them near it.
 BUCKET_ROWS = 20_000
+#: Blocks of the mix: one task plans them, and their table, some 30 bytes a block, is broadcast.
+MOST_BLOCKS = 1 << 18
 
 
-def ranked(docs: DataFrame, source: str, order: list[Column], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def ranked(docs: DataFrame, source: str, order: list[Column], bucket_rows: int = BUCKET_ROWS, total: int | None = None) -> DataFrame:
     """Adds `_rank`, from 0 in each source, in an order by hash: counts of (source, hash bucket) are summed up, ranks are taken within buckets only.
 
     No task gets a whole source, however hot.
     """
-    total = docs.count()
+    total = docs.count() if total is None else total
     buckets = max(1, -(-total // bucket_rows))
     d = docs.withColumn("_h", F.xxhash64(*order)).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(buckets)))
     sizes = d.groupBy(source, "_bucket").agg(F.count("*").alias("_n"))
@@ -26,45 +28,6 @@ def ranked(docs: DataFrame, source: str, order: list[Column], bucket_rows: int =
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """sources (source, blocks long, quanta int) -> one row per phase, source and subtask: start, until, base, width, source, quanta, j, slot.
-
-    In each period a source that still has blocks is due `quanta` of them, so
-    its blocks k have period k div quanta, whatever the others do, and it ends
-    with period ceil(blocks / quanta). Between two such ends the same sources
-    are active: a phase. Its period has width W = sum of quanta slots; subtask j
-    of a source is released at floor(j W / quanta) and due by
-    ceil((j + 1) W / quanta). Slots take the released subtask of the earliest
-    deadline, ties by source. As the quanta sum to W this meets every deadline,
-    so no source is ever a whole block off its weight among the active ones.
-
-    A table of control: (number of sources)^2 * quanta rows at most, independent
-    of the number of rows to mix.
-    """
-    s = sources.withColumn("until", F.ceil(F.col("blocks") / F.col("quanta")).cast("long"))
-    all_ = s.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "quanta", "until"))).alias("all"), F.sort_array(F.collect_set("until")).alias("ends"))
-    phases = all_.select("all", "ends", F.posexplode("ends").alias("phase", "end"))
-    phases = phases.withColumn("start", F.when(F.col("phase") > 0, F.element_at("ends", F.col("phase"))).otherwise(F.lit(0).cast("long")))
-    phases = phases.withColumn("act", F.filter("all", lambda x: x["until"] > F.col("start"))).withColumn("w", F.aggregate("act", F.lit(0), lambda a, x: a + x["quanta"]))
-    phases = phases.select("phase", "start", "end", "act", "w").withColumn("before", F.lit(0))
-    fold = """
-      aggregate(
-        sequence(0, w - 1),
-        named_struct('k', transform(act, x -> 0), 'pick', cast(array() as array<int>)),
-        (acc, t) -> named_struct(
-          'k', transform(acc.k, (n, i) -> if(i = {due}, n + 1, n)),
-          'pick', concat(acc.pick, array({due}))),
-        acc -> acc.pick)"""
-    due = """array_min(transform(acc.k, (n, i) -> if(n < act[i].quanta and floor(n * w / act[i].quanta) <= t,
-               named_struct('due', cast(ceil((n + 1) * w / act[i].quanta) as int), 'i', i), null))).i"""
-    picked = phases.withColumn("pick", F.expr(fold.replace("{due}", due)))
-    before = F.coalesce(F.sum(F.col("w") * (F.col("end") - F.col("start"))).over(Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = picked.withColumn("base", before).select("phase", "start", "end", "base", "w", "act", F.posexplode("pick").alias("slot", "i"))
-    slots = slots.select("phase", "start", "end", "base", "w", "slot", F.col("act")[F.col("i")].alias("a"))
-    j = F.row_number().over(Window.partitionBy("phase", "a.source").orderBy("slot")) - 1
-    return slots.select("start", F.col("end").alias("until"), "base", F.col("w").alias("width"), F.col("a.source").alias("source"), F.col("a.quanta").alias("quanta"), j.alias("j"), "slot")
-
-
-def exact_schedule(sources: DataFrame) -> DataFrame:
     """sources (source, blocks long, weight double) -> one row per block: source, block, slot.
 
     In the fluid mix every source gets its weight's share among the sources
@@ -75,9 +38,16 @@ def exact_schedule(sources: DataFrame) -> DataFrame:
     itself keeps all these windows, this meets every deadline: no source is
     ever a whole block off the given weights, however far the mix goes.
 
-    One task plans it, slot by slot in chunks, from two numbers a block.
+    Sources of weight 0 come after all others have ended, with equal shares.
+
+    One task plans it, slot by slot in chunks, from two numbers a block; mix()
+    bounds the number of blocks.
     """
-    all_ = sources.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "blocks", "weight"))).alias("all"), F.sum("blocks").alias("total")).where("total > 0")
+    tier = F.when(F.col("weight") > 0, 0).otherwise(1)
+    s = sources.select("source", "blocks", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), tier.alias("tier"))
+    all_ = s.groupBy("tier").agg(F.sort_array(F.collect_list(F.struct("source", "blocks", "weight"))).alias("all"), F.sum("blocks").alias("total")).where("total > 0")
+    # two rows at most: those of weight 0 start where the others end
+    all_ = all_.withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     fluid = "aggregate(all, 0D, (a, y) -> a + least(y.weight * {v}, cast(y.blocks as double)))"
     windows = f"""flatten(transform(all, x -> transform(sequence(0L, x.blocks - 1), k -> named_struct(
         'rel', cast(floor({fluid.format(v='(k / x.weight)')} + 1e-6) as int),
@@ -97,8 +67,8 @@ def exact_schedule(sources: DataFrame) -> DataFrame:
         named_struct('at', off, 'picks', cast(array() as array<array<struct<i:int,block:int>>>)),
         (outer_acc, c) -> element_at(transform(array({chunk}), r -> named_struct('at', r.at, 'picks', concat(outer_acc.picks, array(r.pick)))), 1),
         outer_acc -> flatten(outer_acc.picks))"""
-    slots = d.select("all", F.posexplode(F.expr(fold)).alias("slot", "p"))
-    return slots.select(F.col("all")[F.col("p.i")]["source"].alias("source"), F.col("p.block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"))
+    slots = d.select("all", "base", F.posexplode(F.expr(fold)).alias("slot", "p"))
+    return slots.select(F.col("all")[F.col("p.i")]["source"].alias("source"), F.col("p.block").cast("long").alias("block"), (F.col("base") + F.col("slot")).alias("slot"))
 
 
 def target_weights(docs: DataFrame, source: str, weights: dict[str, float] | None, temperature: float, block_rows: int) -> DataFrame:
@@ -113,46 +83,35 @@ def target_weights(docs: DataFrame, source: str, weights: dict[str, float] | Non
     return counts.select("source", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), weight.cast("double").alias("weight"))
 
 
-def target_quanta(docs: DataFrame, source: str, weights: dict[str, float] | None, temperature: float, finest: int, block_rows: int) -> DataFrame:
-    """Blocks and weights in whole numbers: the heaviest has `finest` quanta, none has less than one."""
-    heaviest = F.max("weight").over(Window.partitionBy(F.lit(0)))
-    return target_weights(docs, source, weights, temperature, block_rows).select("source", "blocks", F.greatest(F.lit(1), F.round(finest * F.col("weight") / heaviest)).cast("int").alias("quanta"))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, finest: int = 16, source: str = "source", keep: list[str] | None = None, exact: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, source: str = "source", keep: list[str] | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """docs (doc_id, source, ...) -> all its columns (or `keep`) and block, slot, place: one row for each input row.
 
     A source's rows, in an order by hash of their first column other than the
-    source (the id), are cut into blocks of `block_rows`; blocks of all sources get `slot`, a number that
+    source (the id), are cut into blocks of `block_rows` or, so that the table
+    of blocks has `most_blocks` rows and one for each source at most, of a
+    `most_blocks`th of all rows. Blocks of all sources get `slot`, a number that
     grows along the mix, and `place` is the row's place in its block. Read by
     (slot, place), any prefix has every source within one block of its target
     weight among the sources that still have rows. Nothing is dropped or
-    repeated: when a source ends the others go on by their weights. `exact`
-    takes the weights as they are; else the targets are weights rounded to
-    `finest` quanta for the heaviest source, one at least for any.
+    repeated: when a source ends the others go on by their weights.
 
-    A null source is a source of its own. Null ids and repeated rows keep their
-    rows; among equal ids any order is as good. Columns named block, slot or
-    place are replaced. An empty table gives no rows.
+    A source that `weights` doesn't name has the smallest weight given; one of
+    weight 0 comes after all others; a negative, infinite or undefined weight
+    is an error. A null source is a source of its own. Null ids and repeated
+    rows keep their rows; among equal ids any order is as good. Columns named
+    block, slot or place are replaced. An empty table gives no rows.
     """
+    if weights is not None and not all(0 <= w < float("inf") for w in weights.values()):
+        raise ValueError("weights are finite numbers from 0 on")
     d = docs.drop("block", "slot", "place")
     names = [c for c in (keep or d.columns)]
-    r = ranked(d.select(*names), source, [F.col(c) for c in names if c != source][:1] or [F.col(source)])
-    r = r.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long")).withColumn("place", (F.col("_rank") % block_rows).cast("int"))
-    if exact:
-        p = exact_schedule(target_weights(d, source, weights, temperature, block_rows))
-        p = F.broadcast(p.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "slot"))  # a row per `block_rows` rows
-        return r.join(p, F.col(source).eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left").select(*names, "block", "slot", "place")
-    quanta = target_quanta(docs, source, weights, temperature, finest, block_rows)
-    plan = schedule(quanta)
-    per = quanta.select(F.col("source").alias("_qs"), F.col("quanta").alias("_q"))
-    r = r.join(per, F.col(source).eqNullSafe(F.col("_qs")), "left")
-    r = r.withColumn("_p", F.floor(F.col("block") / F.col("_q")).cast("long")).withColumn("_j", (F.col("block") % F.col("_q")).cast("int"))
-    on = F.col(source).eqNullSafe(F.col("p_source")) & (F.col("_j") == F.col("p_j")) & (F.col("_p") >= F.col("p_start")) & (F.col("_p") < F.col("p_until"))
-    p = plan.select(*(F.col(c).alias(f"p_{c}") for c in plan.columns))
-    both = r.join(p, on, "left")
-    slot = F.col("p_base") + (F.col("_p") - F.col("p_start")) * F.col("p_width") + F.col("p_slot")
-    return both.select(*names, "block", slot.cast("long").alias("slot"), "place")
+    total = d.count()
+    size = max(block_rows, -(-total // most_blocks))
+    r = ranked(d.select(*names), source, [F.col(c) for c in names if c != source][:1] or [F.col(source)], total=total)
+    r = r.withColumn("block", F.floor(F.col("_rank") / size).cast("long")).withColumn("place", (F.col("_rank") % size).cast("int"))
+    p = schedule(target_weights(d, source, weights, temperature, size))
+    p = F.broadcast(p.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "slot"))  # most_blocks rows and one a source at most
+    return r.join(p, F.col(source).eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left").select(*names, "block", "slot", "place")
 
 
 def laid_out(mixed: DataFrame) -> DataFrame:

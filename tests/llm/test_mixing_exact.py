@@ -27,11 +27,11 @@ def test_within_a_block_of_the_given_weights(spark):
     hot = {"h": 4000, **{f"s{i:02}": 400 for i in range(19)}}
     for sizes, weights in ((hot, None), ({"a": 3000, "b": 40, None: 500, "": 7}, {"a": 1.0, "b": 0.01, None: 0.37, "": 0.2})):
         rows = [(i, s) for s, n in sizes.items() for i in range(n)]
-        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=4, exact=True).collect()
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=4).collect()
         assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
         at = {(r.source, r.block): r.slot for r in got}
         assert sorted(at.values()) == list(range(len(at)))
         blocks = {s: ceil(n / 4) for s, n in sizes.items()}
         order = [s for (s, _), _ in sorted(at.items(), key=lambda x: x[1])]
         assert off(order, blocks, weights or {s: n**0.5 for s, n in sizes.items()}) < 1 + 1e-6
-    assert mixing.mix(spark.createDataFrame([], "doc_id long, source string"), exact=True).collect() == []
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).collect() == []
