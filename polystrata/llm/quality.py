@@ -138,22 +138,31 @@ def is_held_out(doc_id: int) -> bool:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, sample_bytes: int = 64 << 20) -> Model:
     """Train on at most `per_label` documents of each label, by hash of their ids, outside the held-out fold.
 
-    The sample is bounded in rows, and in bytes by leaving whole documents out
-    once `sample_bytes` are reached, in order of the hash; so it fits in the
-    driver at any size of the corpus. Rows with null ids, texts or labels teach
-    nothing. Without rows, or with one label only, the score is a constant.
+    The sample is bounded in rows, and per label in bytes, `sample_bytes` / 2:
+    in order of the hash, a text that doesn't fit any more is left out and
+    smaller ones go on; so it fits in the driver at any size of the corpus. A
+    doc_id with several rows counts once, by its shortest text. Rows with null
+    ids, texts or labels teach nothing. Without rows, or with one label only,
+    the score is a constant.
     """
     y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where(~held_out())
     y = y.withColumn("h", F.xxhash64("doc_id"))
     ids = y.where("quality = 0").orderBy("h", "doc_id").limit(per_label).unionByName(y.where("quality = 1").orderBy("h", "doc_id").limit(per_label))
     # 2 * per_label rows at most, whatever the corpus
     known = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    sizes = known.select("quality", "h", F.octet_length("text").alias("size")).orderBy("quality", "h", "size").limit(4 * per_label).toPandas()
-    sizes = sizes[sizes.groupby("quality")["size"].cumsum() <= sample_bytes // 2]
-    wanted = F.lit(False)
-    for q, group in sizes.groupby("quality"):
-        wanted |= (F.col("quality") == int(q)) & (F.col("h") <= int(group["h"].max())) & (F.octet_length("text") <= int(group["size"].max()))
-    rows = known.where(wanted).select("h", "text", "quality").limit(len(sizes) + 1).toPandas().sort_values(["h", "quality", "text"])
+    shape = F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("code"))
+    sizes = known.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("h").alias("h"), F.min(shape).alias("s")).select("quality", "h", "doc_id", "s.*").collect()
+    chosen, room = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for r in sorted(sizes):
+        if r["size"] <= room[r["quality"]]:
+            room[r["quality"]] -= r["size"]
+            chosen.append((r["doc_id"], r["size"], r["code"]))
+    if not chosen:
+        return train([], [])
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame(chosen, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, size int, code long"))
+    rows = known.withColumns({"size": F.octet_length("text"), "code": F.xxhash64("text")}).join(picked, ["doc_id", "size", "code"])
+    rows = rows.dropDuplicates(["doc_id"]).select("h", "doc_id", "text", "quality").toPandas().sort_values(["h", "doc_id"])
     return train(rows["text"].tolist(), rows["quality"].astype(int).tolist())
 
 

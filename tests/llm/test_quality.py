@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from polystrata.llm import quality
@@ -30,3 +32,17 @@ def test_pieces_change_nothing(monkeypatch):
     whole = model.score(text)
     monkeypatch.setattr(quality, "PIECE", 1000)
     assert abs(model.score(text) - whole) < 1e-12
+
+
+def test_repeated_rows_and_long_texts_leave_both_labels(spark):
+    r = random.Random(2)
+    text = lambda words: " ".join(r.choice(words) for _ in range(30))
+    good, bad = "river stone bridge water mill".split(), "click buy free win now".split()
+    rows = [(i, text(good if i % 2 else bad)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    many = spark.createDataFrame([x for x in rows for _ in range(1 if x[0] % 2 else 40)] + [(3, "z" * 9000), (4, "z" * 9000)], "doc_id long, text string")
+    m = quality.fit(many, labels, per_label=100, sample_bytes=40_000)
+    assert m.score(text(good)) > 0.8 and m.score(text(bad)) < 0.2
+    first = next(i for i in range(400) if i % 2 and not quality.is_held_out(i))
+    m = quality.fit(spark.createDataFrame([(i, t if i != first else "z" * 90_000) for i, t in rows], "doc_id long, text string"), labels, sample_bytes=80_000)
+    assert m.score(text(good)) > 0.8 and m.score(text(bad)) < 0.2
