@@ -66,24 +66,63 @@ def stop_for(cosine: float, width: int, recall: float) -> float:
     return 2 * (2 - 2 * cosine) / width * math.log(1 / (1 - recall))
 
 
+def needed_stop(u: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, most: int = 1000, seed: int = 11) -> float:
+    """The stop by which a traversal from either side finds `recall` of made partners, with the codebooks as they are.
+
+    Data of few dimensions displaces partners in few directions, so partners are
+    made from the data: of up to `most` sample vectors each is moved, to just
+    the threshold, in the direction of one of its ten nearest sample vectors.
+    What lies at the threshold in one cell needs no traversal at all; the bound
+    2 - 2 cos is enough for any partner.
+    """
+    r = np.random.default_rng(seed)
+    q = u[r.choice(len(u), min(most, len(u)), replace=False)]
+    near = np.argsort(-(q @ u.T), axis=1)[:, 1:11]
+    if not near.shape[1]:
+        return 2 - 2 * cosine
+    d = u[near[np.arange(len(q)), r.integers(0, near.shape[1], len(q))]] - q
+    d -= (d * q).sum(axis=1)[:, None] * q  # along the sphere
+    norm = np.sqrt((d * d).sum(axis=1))
+    q, d = q[norm > 1e-9], d[norm > 1e-9] / norm[norm > 1e-9, None]
+    if not len(q):
+        return 2 - 2 * cosine
+    p, half = cosine * q + math.sqrt(1 - cosine * cosine) * d, u.shape[1] // 2
+
+    def cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a))
+        for x, y, c in ((a[:, :half], b[:, :half], books[0]), (a[:, half:], b[:, half:], books[1])):
+            out += borders(distances(x, c), c)[np.arange(len(a)), distances(y, c).argmin(axis=1)]
+        return out
+
+    return float(min(2 - 2 * cosine, np.quantile(np.minimum(cost(q, p), cost(p, q)), recall)))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1)[:, None]  # no overflow or underflow of the squares
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _indexer(width: int, books: tuple[np.ndarray, np.ndarray], stop: float):
-    half, k2 = width // 2, len(books[1])
+Grid = tuple[tuple[np.ndarray, np.ndarray], float]  # two codebooks, and the stop of a traversal
+
 
+def _whole_grid(width: int) -> Grid:
+    """One cell: vectors of a width that the sample doesn't hold are all compared."""
+    return (np.zeros((1, width // 2)), np.zeros((1, width - width // 2))), 0.0
+
+
+def _indexer(grids: dict[int, Grid]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            u = _unit(np.stack(pdf["embedding"].to_numpy()))
-            parts = [borders(distances(x, c), c) for x, c in zip((u[:, :half], u[:, half:]), books)]
-            home = distances(u[:, :half], books[0]).argmin(axis=1) * k2 + distances(u[:, half:], books[1]).argmin(axis=1)
-            visits = [np.array(sorted({h, *(i * k2 + j for i, j in visit(p, q, stop))}), np.int32) for p, q, h in zip(*parts, home.tolist())]
-            yield pd.DataFrame({"row": pdf["row"], "vec_id": pdf["vec_id"], "label": pdf["label"], "cell": home.astype(np.int32), "visits": visits, "v": [x.tobytes() for x in np.stack(pdf["embedding"].to_numpy())]})
+            for width, part in pdf.groupby(pdf["embedding"].map(len)):
+                books, stop = grids.get(width) or _whole_grid(width)
+                half, k2 = width // 2, len(books[1])
+                raw = np.stack(part["embedding"].to_numpy())
+                u = _unit(raw)
+                parts = [borders(distances(x, c), c) for x, c in zip((u[:, :half], u[:, half:]), books)]
+                home = distances(u[:, :half], books[0]).argmin(axis=1) * k2 + distances(u[:, half:], books[1]).argmin(axis=1)
+                visits = [np.array(sorted({h, *(i * k2 + j for i, j in visit(p, q, stop))}), np.int32) for p, q, h in zip(*parts, home.tolist())]
+                yield pd.DataFrame({"row": part["row"], "vec_id": part["vec_id"], "label": part["label"], "width": width, "cell": home.astype(np.int32), "visits": visits, "v": [x.tobytes() for x in raw]})
 
     return run
 
@@ -124,7 +163,7 @@ def _matcher(cosine: float, dtype: str):
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            keys = pdf[["label", "at", "qb", "mb"]].to_numpy()
+            keys = pdf[["label", "width", "at", "qb", "mb"]].to_numpy()
             bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
             out: list = []
             for s, e in zip(bounds[:-1], bounds[1:]):
@@ -142,19 +181,21 @@ def _matcher(cosine: float, dtype: str):
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.99, centroids: int | None = None) -> DataFrame:
     """vectors (vec_id, embedding, label, ...) -> vec_id, n_links, component_id, kept: one row for each input row.
 
-    Vectors of equal, not null labels are linked when their cosine, in double
-    precision, is at least `cosine`. The codebooks are fitted on SAMPLE rows;
-    every row is indexed and is a query. A traversal goes on until a partner
-    displaced at random by the threshold's distance is met with probability
-    `recall`; as either side may find it, more are found than that. Links are
-    verified, so none is below the threshold.
+    Vectors of equal, not null labels and of equal widths are linked when their
+    cosine, in double precision, is at least `cosine`. Each width has its own
+    grid, its codebooks fitted on that width's part of SAMPLE rows; their size
+    grows with the square root of the rows, so that cells keep their mean size,
+    as far as the sample can fit it (a centroid for 8 rows of it). Every row is
+    indexed and is a query. A traversal goes on as far as `recall` of partners
+    displaced by the threshold's distance need, at random or as needed_stop()
+    measures. Links are verified, so none is below the threshold.
 
     Cells are cut into blocks of BLOCK members and as many queries; a block
     emits counts and its pieces' smallest ids, never pairs.
 
-    Null, zero, non-finite vectors, vectors of another width than the widest
-    and those with a null label or id are linked with nothing; with a null id
-    the component is null and the row is kept. Repeated rows are rows of their
+    Null, empty, zero and non-finite vectors and those with a null label or id
+    are linked with nothing; with a null id the component is null and the row
+    is kept. Repeated rows are rows of their
     own: copies are linked with each other and share their id's component.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -163,27 +204,33 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.99,
     element = vectors.schema["embedding"].dataType.elementType
     dtype, kind = ("<f4", "array<float>") if isinstance(element, T.FloatType) else ("<f8", "array<double>")
     v = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("embedding", lambda x: x != 0) | (F.size("embedding") < 2)
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("embedding", lambda x: x != 0)
     v = written(v.withColumn("good", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad, F.lit(False))), "vectors")
-    count, width = v.where("good").agg(F.count("*"), F.max(F.size("embedding"))).first()
+    count = v.where("good").count()
     plain = v.select("row", "vec_id")
     if count:
-        good = v.where(F.col("good") & (F.size("embedding") == width))
-        half, k = width // 2, centroids or max(4, min(256, round(math.sqrt(count / 1000))))
-        rows = good.orderBy(F.xxhash64("vec_id", "row")).limit(SAMPLE).select("embedding").collect()
-        u = _unit(np.array([r[0] for r in rows]))
-        books = (fit_codebook(u[:, :half], k), fit_codebook(u[:, half:], k))
-        schema = "row long, vec_id long, label long, cell int, visits array<int>, v binary"
-        index = written(good.select("row", "vec_id", "label", "embedding").mapInPandas(_indexer(width, books, stop_for(cosine, width, recall)), schema), "index")
-        askers = index.select("label", F.explode("visits").alias("at"))
-        sizes = index.groupBy("label", F.col("cell").alias("at")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mbs"))
-        sizes = sizes.join(askers.groupBy("label", "at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qbs")), ["label", "at"])
+        good = v.where("good").select("row", "vec_id", "label", "embedding")
+        sample: dict[int, list] = {}
+        for r in good.orderBy(F.xxhash64("vec_id", "row")).limit(SAMPLE).select("embedding").collect():
+            sample.setdefault(len(r[0]), []).append(r[0])
+        grids: dict[int, Grid] = {}
+        for width, found in sample.items():
+            u, half = _unit(np.array(found)), width // 2
+            share = count * len(found) / min(count, SAMPLE)
+            k = centroids or max(4, min(len(found) // 8, round(math.sqrt(share / 1000))))
+            books = (fit_codebook(u[:, :half], k), fit_codebook(u[:, half:], k))
+            grids[width] = books, max(stop_for(cosine, width, recall), needed_stop(u, books, cosine, recall))
+        schema = "row long, vec_id long, label long, width int, cell int, visits array<int>, v binary"
+        index = written(good.mapInPandas(_indexer(grids), schema), "index")
+        askers = index.select("label", "width", F.explode("visits").alias("at"))
+        sizes = index.groupBy("label", "width", F.col("cell").alias("at")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mbs"))
+        sizes = sizes.join(askers.groupBy("label", "width", "at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qbs")), ["label", "width", "at"])
         spot = lambda n: F.pmod(F.hash("row"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         none = F.lit(None).cast("array<int>")
-        asked = index.withColumn("at", F.explode("visits")).join(sizes, ["label", "at"]).select("label", "at", spot("qbs").alias("qb"), every("mbs").alias("mb"), "row", "vec_id", "cell", none.alias("visits"), "v", F.lit(True).alias("query"))
-        held = index.withColumn("at", F.col("cell")).join(sizes, ["label", "at"]).select("label", "at", every("qbs").alias("qb"), spot("mbs").alias("mb"), "row", "vec_id", "cell", "visits", "v", F.lit(False).alias("query"))
-        blocks = asked.unionByName(held).repartition("label", "at", "qb", "mb").sortWithinPartitions("label", "at", "qb", "mb")
+        asked = index.withColumn("at", F.explode("visits")).join(sizes, ["label", "width", "at"]).select("label", "width", "at", spot("qbs").alias("qb"), every("mbs").alias("mb"), "row", "vec_id", "cell", none.alias("visits"), "v", F.lit(True).alias("query"))
+        held = index.withColumn("at", F.col("cell")).join(sizes, ["label", "width", "at"]).select("label", "width", "at", every("qbs").alias("qb"), spot("mbs").alias("mb"), "row", "vec_id", "cell", "visits", "v", F.lit(False).alias("query"))
+        blocks = asked.unionByName(held).repartition("label", "width", "at", "qb", "mb").sortWithinPartitions("label", "width", "at", "qb", "mb")
         found = written(blocks.mapInPandas(_matcher(cosine, dtype), "row long, vec_id long, n long, root long"), "found")
         linked = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
         plain = plain.join(found.groupBy("row").agg(F.sum("n").alias("n_links")), "row", "left").join(linked, F.col("vec_id") == F.col("node"), "left")
