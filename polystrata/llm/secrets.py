@@ -31,7 +31,7 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", rf"AIza{_WORD}{{35,}}"),
-    Rule("jwt", rf"eyJ{_WORD}{{8,}}\.eyJ{_WORD}{{8,}}\.{_WORD}{{8,}}"),
+    Rule("jwt", rf"(?<!{_WORD})eyJ{_WORD}{{8,}}\.eyJ{_WORD}{{8,}}\.{_WORD}{{8,}}"),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----"),
 )
 
@@ -89,7 +89,7 @@ def _expand(nodes, clauses: list) -> frozenset[str] | None:
                 inner = []
             elif once is not None:
                 inner = [c] if (c := _clause(frozenset(_power(once, min(low, 3))))) is not None else []
-        elif op is sre.AT:
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):  # take no characters
             found = frozenset([""])
         if found is not None and len(found) * len(current) <= _MOST:
             current = frozenset(a + b for a in current for b in found)
@@ -173,15 +173,17 @@ class TrigramIndex:
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost, non-overlapping matches as (start, order, end, kind) in code points; failing ones are passed over, not searched within."""
-    anchored = F.lit(rf"\G([\s\S]*?)({rule.regex})")
-    part = lambda g: F.regexp_extract_all(text, anchored, F.lit(g))
-    seen = F.arrays_zip(part(1).alias("gap"), part(2).alias("hit"), part(rule.group + 2).alias("key"))
+    # two passes that find the same matches: what is between them, and they themselves; a group is looked up in its match
+    hits = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+    seen = F.zip_with(F.split(text, rule.regex, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    seen = F.filter(seen, lambda x: x["hit"].isNotNull())
+    key = (lambda hit: F.regexp_extract(hit, rule.regex, rule.group)) if rule.group else (lambda hit: hit)
     empty = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
+    start = lambda acc, x: acc["at"] + x["gap"]
     end = lambda acc, x: start(acc, x) + F.length(x["hit"])
     step = lambda acc, x: F.struct(
         end(acc, x).alias("at"),
-        F.when(F.length(x["key"]) >= rule.least, F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), F.lit(order).alias("ord"), end(acc, x).alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
+        F.when(F.length(key(x["hit"])) >= rule.least, F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), F.lit(order).alias("ord"), end(acc, x).alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
     )
     return F.aggregate(seen, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
