@@ -149,8 +149,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     sets = written(sets.mapInPandas(_setter(shingle), "fp binary, s array<long>").groupBy("fp").agg(F.first("s").alias("s")), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of fingerprints whose full sets reach the threshold, as pairs of representatives."""
-        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+        """Pairs (a, b) of fingerprints whose full sets reach the threshold, as pairs of representatives.
+
+        Members' sets travel with their pairs; a hub's set, the side with many
+        partners, comes last and is read once for all of them.
+        """
+        both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb"))
         linked = both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
         reps = facts.select("fp", "rep")
