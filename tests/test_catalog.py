@@ -12,7 +12,7 @@ def norm(rows):
     return sorted((tuple(round(x, 6) if isinstance(x, float) and math.isfinite(x) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     d = "/root/testdata/sf0.01"
     df = catalog.queries()[name](spark, d)
