@@ -182,5 +182,6 @@ class Changes:
             group = [names[e.steps[0]] for e in r.group if e.kind == "path" and e.steps[0] in names] if r.kind == "select" and r.group else []
             whole = bool(group) and len(group) == len(r.group)
             d = d.withColumn("id", F.to_json(F.array(*(F.col(c).cast("string") for c in group))) if whole else F.uuid())
-        view.schema = "" if not view.parts else view.schema
+        if not view.parts and not d.limit(1).count():
+            return  # nothing yet; the types come with the first rows
         self.store.replace(view, d)

@@ -561,7 +561,8 @@ class Parser:
             args = self.listed(self.expression)
         self.need(")")
         if "::" in name:
-            return Node("call", name=name.lower(), args=args)
+            made, steps = Node("call", name=name.lower(), args=args), self.steps()
+            return Node("into", a=made, path=steps) if steps else made
         node = Node("fold", name=name.lower(), args=args, star=star, distinct=distinct)
         if self.take("OVER"):
             self.need("(")
@@ -1137,9 +1138,9 @@ class Parser:
 
     def _container(self, kind: str) -> Node:
         op = self.one("word").upper
-        if op == "REMOVE" and kind == "scores" and self.next.upper in ("RANK", "SCORE", "MEMBER"):
-            op = f"REMOVE_{self.one('word').upper}"
         s = Node(kind, op=op.lower(), key=self.record(), args=[], pairs=[])
+        if op == "REMOVE" and kind == "scores" and self.next.upper in ("RANK", "SCORE", "MEMBER"):
+            s.op = f"remove_{self.one('word').text.lower()}"
         s.end = self.any_of("FRONT", "BACK", "LOWEST", "HIGHEST")
         if op == "MOVE" and kind == "list":
             self.need("TO")
@@ -1173,10 +1174,6 @@ class Parser:
             else:
                 if self.take("FROM", "BACK"):
                     s.back = True
-                elif self.take("FROM"):
-                    s.low = self.operand()
-                    self.need("TO")
-                    s.high = self.operand()
                 elif self.take("TO"):
                     s.to = self.record()
                 elif self.take("IF"):

@@ -20,16 +20,20 @@ def query(sql: str | None):
     """Registers a query of tables by name, with its DuckDB SQL; without one where SQL can't say it, and tests hold it against plain code."""
 
     def add(f):
-        _Q[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
-        if sql is not None:
-            _SQL[f.__name__] = sql
+        register(f.__name__, f, sql)
         return f
 
     return add
 
 
+def register(name: str, f, sql: str | None) -> None:
+    _Q[name] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
+    if sql is not None:
+        _SQL[name] = sql
+
+
 def _all() -> None:
-    from . import functions  # noqa: F401 - registers its queries
+    from . import functions, language  # noqa: F401 - register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
