@@ -26,14 +26,15 @@ def query(sql: str | None):
     return add
 
 
-def register(name: str, f, sql: str | None) -> None:
-    _Q[name] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
+def register(name: str, f, sql: str | None, raw: bool = False) -> None:
+    """f takes a function that reads a table by name or, raw, the session and the folder."""
+    _Q[name] = f if raw else lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
     if sql is not None:
         _SQL[name] = sql
 
 
 def _all() -> None:
-    from . import functions, language  # noqa: F401 - register their queries
+    from . import functions, language, streams  # noqa: F401 - register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
