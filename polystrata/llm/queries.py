@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, secrets, substrings, transport_stream, warc
+from . import bpe, chat, mixing, oracles, quality, secrets, substrings, transport_stream, warc
 from .common import table
 from .minhash import near_duplicates
 from .multi_index import near_vectors
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_perspective_chat": chat.DIGEST_SQL}
+    return dict(oracles.SQL)
