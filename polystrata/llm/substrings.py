@@ -54,17 +54,18 @@ def grown_spans(lengths: list[np.ndarray], lone: list[np.ndarray], run: int, lea
 def grown_runs(docs: DataFrame, run: int, least_chars: int, lone_words: int) -> DataFrame:
     """As runs(), with n sentences in each run: grown_spans(), and every sentence of `lone_words` words. Sentences are hashed once, runs from their sentences' hashes."""
 
-    @F.pandas_udf("array<struct<at:int,n:int>>")
-    def spans(lengths: pd.Series, lone: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<at:array<int>,n:array<int>>")
+    def spans(lengths: pd.Series, lone: pd.Series) -> pd.DataFrame:
         doc, at, size = grown_spans(list(lengths), list(lone), run, least_chars)
-        pairs, cuts = list(zip(at.tolist(), size.tolist())), np.searchsorted(doc, np.arange(len(lengths) + 1))
-        return pd.Series([[{"at": a, "n": n} for a, n in pairs[i:j]] for i, j in zip(cuts[:-1], cuts[1:])])
+        cuts = np.searchsorted(doc, np.arange(1, len(lengths)))
+        parts = lambda x: np.split(x.astype(np.int32), cuts)[: len(lengths)]
+        return pd.DataFrame({"at": parts(at), "n": parts(size)})
 
     ship(docs.sparkSession)
     d = docs.where(F.length("text") > 0).select("doc_id", F.hash("text").alias("th"), keys_of(F.col("text")).alias("keys"))
     long_ = lambda k: F.when(F.length(k) >= 2 * lone_words - 1, F.regexp_count(k, F.lit(r"\S+")) >= lone_words).otherwise(F.lit(False))
     d = d.select("doc_id", "th", *(F.transform("keys", f).alias(c) for c, f in (("len", F.length), ("lone", long_), ("a", lambda k: F.xxhash64(k)), ("b", lambda k: F.xxhash64(F.lit(1), k)))))
-    d = d.withColumn("s", spans("len", "lone"))
+    d = d.withColumn("s", spans("len", "lone")).withColumn("s", F.arrays_zip(F.col("s.at").alias("at"), F.col("s.n").alias("n")))
     part = lambda c, s: F.slice(c, s["at"] + 1, s["n"])
     hashed = F.transform("s", lambda s: F.struct(F.xxhash64(part("a", s)).alias("h1"), F.xxhash64(F.lit(1), part("b", s)).alias("h2"), s["at"].alias("at"), s["n"].alias("n")))
     return d.select("doc_id", "th", F.inline(hashed))
