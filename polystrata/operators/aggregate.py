@@ -101,7 +101,7 @@ def collect(value: Column, order: Column) -> Column:
 
 def approx_distinct(value: Column) -> Column:
     """A mergeable sketch of 2^14 registers: a relative error of 0.8 % as a standard deviation."""
-    return F.hll_sketch_estimate(F.hll_sketch_agg(value, 14))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value.cast("string"), 14))
 
 
 def latest_by(df: DataFrame, key: str, at: str, identity: str) -> DataFrame:

@@ -225,9 +225,14 @@ def _phrase(terms: Column, words: tuple[Word, ...], slop: int) -> Column:
         return F.lit(False)
     ask = F.array(*(F.struct(F.lit(w.kind == "prefix").alias("p"), F.array(*(F.lit(s) for s in w.spellings)).alias("s")) for w in words))
     ok = lambda x, w: F.exists(w["s"], lambda s: F.when(w["p"], F.startswith(x, s)).otherwise(x == s))
-    # from each place on, words are met in order as early as they come; it ends within n + slop tokens of its first
-    run = lambda i: F.aggregate(F.slice(terms, i + 1, n + slop), F.lit(0), lambda k, x: F.when((k < n) & ok(x, F.get(ask, k)), k + 1).otherwise(F.when(k == 0, F.lit(n + 1)).otherwise(k))) == n
-    return F.when(F.size(terms) > 0, F.exists(F.sequence(F.lit(0), F.size(terms) - 1), run)).otherwise(False)
+
+    def within(held: Column) -> Column:
+        # from each place of the first word on, words are met in order as early as they come, within n + slop tokens
+        run = lambda i: F.aggregate(F.slice(held, i + 1, n + slop), F.lit(0), lambda k, x: F.when((k < n) & ok(x, F.get(ask, k)), k + 1).otherwise(k)) == n
+        begins = lambda i: ok(F.get(held, i), F.get(ask, F.lit(0)))
+        return F.when(F.size(held) > 0, F.exists(F.sequence(F.lit(0), F.size(held) - 1), lambda i: begins(i) & run(i))).otherwise(False)
+
+    return F.get(F.transform(F.array(terms), within), F.lit(0))  # the tokens are bound, so that no place makes them anew
 
 
 def answers(terms: Column, q: Query) -> Column:
