@@ -57,7 +57,7 @@ def _lists(t):
 
 
 @query(_LISTS + """SELECT k, len(f) AS n, f[1] AS one, f[-1] AS last, CASE WHEN f IS NOT NULL THEN to_json(list_reverse(f)) END AS rev, CASE WHEN f IS NOT NULL THEN to_json(list_slice(f, 2, 3)) END AS cut, CASE WHEN f IS NOT NULL THEN array_to_string(f, '-') END AS joined, list_min(f) AS low, list_max(f) AS high, coalesce(list_sum(f), NULL)::BIGINT AS total, f[2] AS second, f[-2] AS before,
- nullif(coalesce(list_position(a, f[2]), 0), 0) - 1 AS at, CASE WHEN f IS NOT NULL THEN to_json(list_concat(f, a)) END AS both, CASE WHEN f IS NOT NULL THEN to_json(list_append(f, k)) END AS more, CASE WHEN f IS NOT NULL THEN to_json(list_distinct(list_concat(f, a)).list_sort()) END AS dist, CASE WHEN f IS NOT NULL THEN to_json(flatten([f, a])) END AS flat FROM o""")
+ (nullif(coalesce(list_position(a, f[2]), 0), 0) - 1)::BIGINT AS at, CASE WHEN f IS NOT NULL THEN to_json(list_concat(f, a)) END AS both, CASE WHEN f IS NOT NULL THEN to_json(list_append(f, k)) END AS more, CASE WHEN f IS NOT NULL THEN to_json(list_distinct(list_concat(f, a)).list_sort()) END AS dist, CASE WHEN f IS NOT NULL THEN to_json(flatten([f, a])) END AS flat FROM o""")
 def fn_arrays(t):
     d = _lists(t)
     f, a = F.col("f"), F.col("a")
@@ -92,7 +92,7 @@ def fn_scores(t):
 
 
 @query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS ty FROM events)
- SELECT event_id, 'a,k' AS keys, to_json([CAST(event_id % 5 AS BIGINT), k]) AS vals, 2 AS n, true AS has, k AS got, NULL::BIGINT AS missing, '{"a":' || (event_id % 5) || ',"k":7,"z":' || event_id || '}' AS merged FROM e""")
+ SELECT event_id, 'a,k' AS keys, to_json([CAST(event_id % 5 AS BIGINT), k]) AS vals, 2::BIGINT AS n, true AS has, k AS got, NULL::BIGINT AS missing, '{"a":' || (event_id % 5) || ',"k":7,"z":' || event_id || '}' AS merged FROM e""")
 def fn_objects(t):
     k = F.try_variant_get(call("json::parse", F.col("props")), "$.k", "long")
     d = t("events").select("event_id", F.create_map(L("k"), k, L("a"), F.col("event_id") % 5).alias("o"), F.struct(L(7).cast("long").alias("k"), F.col("event_id").alias("z")).alias("p"))

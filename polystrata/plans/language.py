@@ -32,7 +32,7 @@ def statement(name: str, text: str, sql: str, **digits: int) -> None:
 statement("ql_filter", "SELECT o_orderkey, o_totalprice * 2 AS twice, IF o_totalprice > 200000 THEN 'big' ELSE 'small' END AS size FROM orders WHERE o_orderstatus IN ['O', 'F'] AND NOT (o_orderpriority LIKE '%URGENT%') AND o_totalprice >= 100000",
           "SELECT o_orderkey, o_totalprice * 2 AS twice, CASE WHEN o_totalprice > 200000 THEN 'big' ELSE 'small' END AS size FROM orders WHERE o_orderstatus IN ('O', 'F') AND NOT o_orderpriority LIKE '%URGENT%' AND o_totalprice >= 100000")
 statement("ql_star_omit", "SELECT *, n_nationkey * 10 AS tens OMIT n_regionkey FROM nation WHERE n_name != 'NATION_3'",
-          "SELECT n_nationkey, n_name, n_nationkey * 10 AS tens FROM nation WHERE n_name <> 'NATION_3'")
+          "SELECT n_nationkey, n_name, (n_nationkey * 10)::BIGINT AS tens FROM nation WHERE n_name <> 'NATION_3'")
 statement("ql_record", "SELECT c_name, c_acctbal FROM customer:17", "SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 17")
 statement("ql_span", "SELECT c_custkey FROM customer:10..=40 ORDER BY c_custkey DESC LIMIT 7 START 2", "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 10 AND 40 ORDER BY 1 DESC LIMIT 7 OFFSET 2")
 statement("ql_only", "SELECT n_name FROM ONLY nation WHERE n_nationkey = 7", "SELECT n_name FROM nation WHERE n_nationkey = 7")
@@ -68,8 +68,8 @@ statement("ql_counters", "SELECT user_id, increase(value, ts) AS inc, delta(valu
           "WITH l AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, CASE WHEN count(*) > 1 THEN round(sum(CASE WHEN value >= p THEN value - p WHEN p IS NOT NULL THEN value END), 4) END AS inc, CASE WHEN count(*) > 1 THEN round(arg_max(value, ts) - arg_min(value, ts), 4) END AS d FROM l GROUP BY 1",
           inc=4, d=4)
 statement("ql_functions", "SELECT p_partkey, string::upper(p_brand) AS b, string::len(p_name) AS n, math::floor(p_retailprice) AS f, p_retailprice + p_size AS more, array::len(string::split(p_type, ' ')) AS words, -p_size AS neg, p_size % 7 AS rest FROM part",
-          "SELECT p_partkey, upper(p_brand) AS b, length(p_name) AS n, floor(p_retailprice) AS f, p_retailprice + p_size AS more, len(string_split(p_type, ' ')) AS words, -p_size AS neg, p_size % 7 AS rest FROM part")
-statement("ql_document_paths", "LET $least = 50; SELECT event_id, json::parse(props).k AS k FROM events WHERE json::parse(props).k >= $least", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
+          "SELECT p_partkey, upper(p_brand) AS b, length(p_name) AS n, floor(p_retailprice) AS f, p_retailprice + p_size AS more, len(string_split(p_type, ' ')) AS words, -p_size AS neg, (p_size % 7)::BIGINT AS rest FROM part")
+statement("ql_document_paths", "LET $least = 50; SELECT event_id, type::int(json::parse(props).k) AS k FROM events WHERE json::parse(props).k >= $least", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 statement("ql_cursor", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC AFTER orders:100 LIMIT 20",
           "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < (SELECT o_totalprice FROM orders WHERE o_orderkey = 100) OR (o_totalprice = (SELECT o_totalprice FROM orders WHERE o_orderkey = 100) AND o_orderkey > 100) ORDER BY 2 DESC, 1 LIMIT 20")
 statement("ql_fuse", "SELECT p_partkey FROM part ORDER BY FUSE (p_retailprice DESC WEIGHT 2, p_size) DEPTH 50 LIMIT 20",
