@@ -26,6 +26,8 @@ from polystrata.llm.queries import vocabulary
 
 #: The columns of documents that stages read or write; others are set aside under one name and come back as they were.
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
+#: The mix: weights are the sources' shares to this power; rows that share an id go by their text, so that both readings of the mix agree.
+MIX = {"temperature": 0.5, "block_rows": 64, "ties": ["text"]}
 
 
 def kept_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -59,16 +61,21 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' files hold them in the order of the mix."""
-    return kept_columns(docs, lambda d: mixing.laid_out(mixing.mix(d)))
+    """The documents' files hold them in the order of the mix, and the metadata of doc_id has its settings: from them tokens() numbers the rows."""
+    return mixing.noted(kept_columns(docs, lambda d: mixing.laid_out(mixing.mix(d, **MIX))), MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, slot, place, n_tokens, token_ids; read by (slot, place), the rows are the mix.
+    """doc_id, source, slot, place, n_tokens, token_ids; read by (slot, place), the rows are the mix of the mixing stage.
 
-    Files are not read in their order, so the places are taken from the mix once more: they follow from ids and sources only.
+    Files are not read in their order, so the places are worked out again, from ids, sources, texts and the settings
+    which that stage noted. Documents that it never had in hand are in no mix: their slot and place are null.
     """
-    return bpe.encode_documents(mixing.mix(docs, keep=["doc_id", "source", "text"]), *vocabulary(), carry=("source", "slot", "place"))
+    settings = mixing.settings_of(docs)
+    if settings is None:
+        coded = bpe.encode_documents(docs, *vocabulary(), carry=("source",))
+        return coded.withColumns({"slot": F.lit(None).cast("long"), "place": F.lit(None).cast("int")}).select("doc_id", "source", "slot", "place", "n_tokens", "token_ids")
+    return bpe.encode_documents(mixing.mix(docs, keep=["doc_id", "source", "text"], **settings), *vocabulary(), carry=("source", "slot", "place"))
 
 
 STAGES = [("quality", good_quality), ("near_dedup", one_of_each), ("secrets", without_secrets), ("mixing", in_mixed_order), ("bpe", tokens)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,14 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 20_000
 #: Blocks of the mix: one task plans them, and their table, some 30 bytes a block, is broadcast.
 MOST_BLOCKS = 1 << 18
+#: Key in a column's metadata, beside which a mixed table keeps the arguments of its mix.
+SETTINGS = "polystrata.mix"
 
 
-def ranked(docs: DataFrame, source: str, order: list[Column], bucket_rows: int = BUCKET_ROWS, total: int | None = None) -> DataFrame:
+def ranked(docs: DataFrame, source: str, order: list[Column], bucket_rows: int = BUCKET_ROWS, total: int | None = None, ties: list[Column] = ()) -> DataFrame:
     """Adds `_rank`, from 0 in each source, in an order by hash: counts of (source, hash bucket) are summed up, ranks are taken within buckets only.
 
-    No task gets a whole source, however hot.
+    Rows that are equal in `order` go by `ties`. No task gets a whole source, however hot.
     """
     total = docs.count() if total is None else total
     buckets = max(1, -(-total // bucket_rows))
@@ -23,7 +27,7 @@ def ranked(docs: DataFrame, source: str, order: list[Column], bucket_rows: int =
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.select(F.col(source).alias("_s"), F.col("_bucket").alias("_b"), "_before")
     both = d.join(before, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
-    within = Window.partitionBy(source, "_bucket").orderBy("_h", *order)
+    within = Window.partitionBy(source, "_bucket").orderBy("_h", *order, *ties)
     return both.withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).drop("_h", "_bucket", "_s", "_b", "_before")
 
 
@@ -83,7 +87,7 @@ def target_weights(docs: DataFrame, source: str, weights: dict[str, float] | Non
     return counts.select("source", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), weight.cast("double").alias("weight"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, source: str = "source", keep: list[str] | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, source: str = "source", keep: list[str] | None = None, most_blocks: int = MOST_BLOCKS, ties: list[str] | None = None) -> DataFrame:
     """docs (doc_id, source, ...) -> all its columns (or `keep`) and block, slot, place: one row for each input row.
 
     A source's rows, in an order by hash of their first column other than the
@@ -98,7 +102,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     A source that `weights` doesn't name has the smallest weight given; one of
     weight 0 comes after all others; a negative, infinite or undefined weight
     is an error. A null source is a source of its own. Null ids and repeated
-    rows keep their rows; among equal ids any order is as good. Columns named
+    rows keep their rows; among equal ids the
+    columns `ties` decide, or any order is as good. Columns named
     block, slot or place are replaced. An empty table gives no rows.
     """
     if weights is not None and not all(0 <= w < float("inf") for w in weights.values()):
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     names = [c for c in (keep or d.columns)]
     total = d.count()
     size = max(block_rows, -(-total // most_blocks))
-    r = ranked(d.select(*names), source, [F.col(c) for c in names if c != source][:1] or [F.col(source)], total=total)
+    r = ranked(d.select(*names), source, [F.col(c) for c in names if c != source][:1] or [F.col(source)], total=total, ties=[F.col(c) for c in ties or []])
     r = r.withColumn("block", F.floor(F.col("_rank") / size).cast("long")).withColumn("place", (F.col("_rank") % size).cast("int"))
     p = schedule(target_weights(d, source, weights, temperature, size))
     p = F.broadcast(p.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "slot"))  # most_blocks rows and one a source at most
@@ -117,3 +122,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 def laid_out(mixed: DataFrame) -> DataFrame:
     """The rows in the order of the mix, range-partitioned: written files, read in order, are the mix."""
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+
+
+def noted(docs: DataFrame, settings: dict, column: str = "doc_id") -> DataFrame:
+    """The same rows and columns, with the arguments of their mix in the column's metadata: selections, shuffles and Parquet keep it."""
+    note = settings | ({"weights": [*settings["weights"].items()]} if settings.get("weights") else {})  # a null source is no key of JSON
+    mark = F.col(column).alias(column, metadata={**docs.schema[column].metadata, SETTINGS: json.dumps(note)})
+    return docs.select(*(mark if c == column else F.col(f"`{c}`") for c in docs.columns))
+
+
+def settings_of(docs: DataFrame, column: str = "doc_id") -> dict | None:
+    """What noted() kept; None for a table that was never mixed."""
+    note = docs.schema[column].metadata.get(SETTINGS)
+    settings = json.loads(note) if note else None
+    return settings | {"weights": dict(settings["weights"])} if settings and settings.get("weights") else settings
